@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.llm.bpe import encode_digests
 from foliospark.llm.exact_dedup import exact_dedup
+from foliospark.llm.packing import pack_documents
 from foliospark.llm.quality_rules import quality_filter
 from foliospark.llm.sharding import SHARD_SQL, stratified_shards
 from foliospark.llm.url_filter import UrlRule, judge_urls, url_path
@@ -26,6 +29,10 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(bad, "doc_id").select("url", "bad")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return judge_urls(pages, page_outcomes(pages, table(spark, sf_dir, "labels")), URL_RULES).drop("bad_bound")
@@ -39,11 +46,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards(table(spark, sf_dir, "documents"), n_shards=8, seed=42)
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op5_quality_rules, op7_exact_dedup, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_packing, op4_url_filter, op5_quality_rules, op7_exact_dedup, op8_bpe, op9_sharding)}
 
 URL_SQL = """
 WITH u AS (
