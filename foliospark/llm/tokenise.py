@@ -16,6 +16,8 @@ _RARE = "\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RARE_SPACE = re.compile(f"[{_RARE}]")
 _CHUNK = re.compile(f"[ \n{_RARE}]*[^ \n{_RARE}]+|[ \n{_RARE}]+")
 
+_MARKS = (".", ",", ";", ":", "!", "?")
+
 
 def plain(text: str) -> bool:
     """Single spaces and line feeds are the only white space, so ``split`` finds the chunks."""
@@ -25,7 +27,7 @@ def plain(text: str) -> bool:
 class ChunkEncoder:
     """``encode_many`` gives each chunk's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode_many: Callable[[list[str]], Sequence[bytes]], limit: int = 400_000):
+    def __init__(self, encode_many: Callable[[list[str]], Sequence[bytes]], limit: int = 1_000_000):
         self.encode_many, self.limit = encode_many, limit
         self.after_space: dict[str, bytes] = {}  # by the chunk without its leading space
         self.other: dict[str, bytes] = {"": b""}
@@ -56,12 +58,18 @@ class ChunkEncoder:
         return [b"".join([other[head] + b"".join(map(space.__getitem__, rest)) for head, rest in lines]) for lines in cut]
 
     def _learn(self, spaced: set[str], heads: set[str]) -> None:
-        for cache, wanted in ((self.after_space, spaced), (self.other, heads)):
+        space = self.after_space
+        new_heads = list(heads.difference(self.other))
+        new_spaced = spaced.difference(space)
+        # A word and the mark behind it match apart, so that only the word needs encoding.
+        marked = {c: c[:-1] for c in new_spaced if c[-1:] in _MARKS and c[:-1].isalpha()} if new_spaced else {}
+        words = list((new_spaced - marked.keys()) | {w for w in marked.values() if w not in space})
+        found = self.encode_many([*(" " + c for c in words), *new_heads, *_MARKS])
+        self.other.update(zip(new_heads, found[len(words) :], strict=False))
+        space.update(zip(words, found, strict=False))
+        marks = dict(zip(_MARKS, found[len(words) + len(new_heads) :], strict=True))
+        space.update({c: space[w] + marks[c[-1]] for c, w in marked.items()})
+        for cache, wanted in ((space, spaced), (self.other, heads)):
             if len(cache) > self.limit:  # the oldest half goes, but nothing that this group uses
                 for k in [k for k in islice(cache, len(cache) // 2) if k not in wanted and k]:
                     del cache[k]
-        new_spaced = list(spaced.difference(self.after_space))
-        new_heads = list(heads.difference(self.other))
-        found = self.encode_many([" " + c for c in new_spaced] + new_heads)
-        self.after_space.update(zip(new_spaced, found[: len(new_spaced)], strict=True))
-        self.other.update(zip(new_heads, found[len(new_spaced) :], strict=True))
