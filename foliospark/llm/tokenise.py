@@ -37,39 +37,46 @@ class ChunkEncoder:
             yield from self._group(texts[lo : lo + group])
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[tuple[str, list[str]]]] = []
+        get = self.after_space.get
+        lines: list[tuple[int, str, list[str], list[bytes | None]]] = []
         spaced: set[str] = set()
-        heads: set[str] = set()
-        for text in texts:
-            lines: list[tuple[str, list[str]]] = []
+        for k, text in enumerate(texts):
             if plain(text):
                 lead = ""
                 for line in text.split("\n"):
                     head, *rest = line.split(" ")
-                    lines.append((lead + head, rest))
-                    spaced.update(rest)
+                    found = list(map(get, rest))
+                    if None in found:
+                        spaced.update([c for c, ids in zip(rest, found, strict=True) if ids is None])
+                    lines.append((k, lead + head, rest, found))
                     lead = "\n"
             else:
-                lines = [(c, []) for c in _CHUNK.findall(text)]
-            heads.update(h for h, _ in lines)
-            cut.append(lines)
-        self._learn(spaced, heads)
-        space, other = self.after_space, self.other
-        return [b"".join([other[head] + b"".join(map(space.__getitem__, rest)) for head, rest in lines]) for lines in cut]
+                lines += [(k, c, [], []) for c in _CHUNK.findall(text)]
+        self._learn(spaced, {head for _, head, _, _ in lines})
+        know, other = self.after_space.__getitem__, self.other
+        parts: list[list[bytes]] = [[] for _ in texts]
+        for k, head, rest, found in lines:
+            parts[k].append(other[head])
+            parts[k] += map(know, rest) if None in found else found
+        self._forget()
+        return [b"".join(p) for p in parts]
 
     def _learn(self, spaced: set[str], heads: set[str]) -> None:
         space = self.after_space
         new_heads = list(heads.difference(self.other))
-        new_spaced = spaced.difference(space)
         # A word and the mark behind it match apart, so that only the word needs encoding.
-        marked = {c: c[:-1] for c in new_spaced if c[-1:] in _MARKS and c[:-1].isalpha()} if new_spaced else {}
-        words = list((new_spaced - marked.keys()) | {w for w in marked.values() if w not in space})
+        marked = {c: c[:-1] for c in spaced if c[-1:] in _MARKS and c[:-1].isalpha()}
+        words = list((spaced - marked.keys()) | {w for w in marked.values() if w not in space})
         found = self.encode_many([*(" " + c for c in words), *new_heads, *_MARKS])
-        self.other.update(zip(new_heads, found[len(words) :], strict=False))
         space.update(zip(words, found, strict=False))
+        self.other.update(zip(new_heads, found[len(words) :], strict=False))
         marks = dict(zip(_MARKS, found[len(words) + len(new_heads) :], strict=True))
         space.update({c: space[w] + marks[c[-1]] for c, w in marked.items()})
-        for cache, wanted in ((space, spaced), (self.other, heads)):
-            if len(cache) > self.limit:  # the oldest half goes, but nothing that this group uses
-                for k in [k for k in islice(cache, len(cache) // 2) if k not in wanted and k]:
-                    del cache[k]
+
+    def _forget(self) -> None:
+        """The oldest half of a cache that is full goes."""
+        for cache in (self.after_space, self.other):
+            if len(cache) > self.limit:
+                for k in list(islice(cache, len(cache) // 2)):
+                    if k:
+                        del cache[k]
