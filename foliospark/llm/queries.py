@@ -11,6 +11,8 @@ from foliospark.llm.exact_dedup import exact_dedup
 from foliospark.llm.packing import pack_documents
 from foliospark.llm.quality_rules import quality_filter
 from foliospark.llm.sharding import SHARD_SQL, stratified_shards
+from foliospark.llm.simhash import near_duplicates
+from foliospark.llm.substring_dedup import remove_repeats
 from foliospark.llm.url_filter import UrlRule, judge_urls, url_path
 
 
@@ -29,10 +31,18 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(bad, "doc_id").select("url", "bad")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, seed=42)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=35, with_text=False)
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return judge_urls(pages, page_outcomes(pages, table(spark, sf_dir, "labels")), URL_RULES).drop("bad_bound")
@@ -54,7 +64,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards(table(spark, sf_dir, "documents"), n_shards=8, seed=42)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_url_filter, op5_quality_rules, op7_exact_dedup, op8_bpe, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_substring_dedup, op4_url_filter, op5_quality_rules, op7_exact_dedup, op8_bpe, op9_sharding)}
 
 URL_SQL = """
 WITH u AS (
@@ -98,6 +108,20 @@ FROM j
 
 ORACLE_SQL = {
     "op4_url_filter": URL_SQL,
+    "op3_substring_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+s AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+g AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM s),
+c AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY h) > 1),
+m AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM c),
+x AS (SELECT r, list(j) AS gone, count(*) AS n FROM m GROUP BY r),
+e AS (SELECT d.r, d.doc_id, d.w, unnest(range(1, greatest(len(d.w), 1) + 1)) AS j FROM d),
+k AS (SELECT e.r, string_agg(e.w[e.j], ' ' ORDER BY e.j) FILTER (WHERE m.j IS NULL) AS kept FROM e LEFT JOIN m ON m.r = e.r AND m.j = e.j GROUP BY e.r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(x.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d JOIN k USING (r) LEFT JOIN x USING (r)
+""",
     "op7_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
