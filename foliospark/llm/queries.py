@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.bpe import encode_digests
 from foliospark.llm.exact_dedup import exact_dedup
+from foliospark.llm.html_extract import extract_pages
+from foliospark.llm.language_id import identify_languages
 from foliospark.llm.packing import pack_documents
 from foliospark.llm.quality_rules import quality_filter
 from foliospark.llm.sharding import SHARD_SQL, stratified_shards
@@ -52,6 +54,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_filter(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -64,7 +70,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards(table(spark, sf_dir, "documents"), n_shards=8, seed=42)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_substring_dedup, op4_url_filter, op5_quality_rules, op7_exact_dedup, op8_bpe, op9_sharding)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_packing, op3_substring_dedup, op4_url_filter, op5_quality_rules, op6_html_extract, op7_exact_dedup, op8_bpe, op9_sharding, op10_language_id)}
 
 URL_SQL = """
 WITH u AS (

@@ -13,6 +13,7 @@ Contents are told apart by 128 bits of hash (a k-mer's and the path's, or a wind
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -160,14 +161,14 @@ def _remove(window: int, with_text: bool):
                     kept.append((text or b"").decode() if left is words and text is not None else b" ".join(left).decode())
                 else:
                     kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[3:]], names=["doc_id", "n_words", "n_removed", "kept", *batch.schema.names[3:]])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 35, k: int = 12) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (doc_id, text) with a hash of the text, and (doc_id, text_hash, place, windows) of the
-    repeated windows: ``windows`` of them from word ``place`` on.
+def repeated_spans(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
+    """From (doc_id, text), the repeated windows as (doc_id, text_hash, place, windows): ``windows`` of
+    them from word ``place`` on.
 
     A document is named by its id and text hash, so rows that repeat an id stay apart, and rows
     that repeat both share their spans.
@@ -195,23 +196,25 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 12) -> tuple[Data
     windows = materialise(windows.distinct(), "repeat-windows")
     same = windows.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("high", "low")
     single = windows.filter("alone").join(same, ["high", "low"], "left_semi").select("doc_id", "text_hash", "place", F.lit(1).alias("windows"))
-    return named, whole.union(single)
+    return whole.union(single)
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed and kept_text (or kept_sha256).
 
     Every word covered by a window of ``window`` words that starts anywhere else too is removed,
     all occurrences alike. A text without removed words stays as it is in kept_text; in others
     and in the digest the kept words are joined by one space. A null text has no words (kept_text
     empty); texts shorter than a window lose nothing. Repeated rows count as occurrences of each
-    other; null ids are carried along; an empty table gives an empty result; other columns are
-    ignored.
+    other; null ids are carried along; an empty table gives an empty result. The columns named by
+    ``carry`` come back in a struct ``carried``; other columns are ignored.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    named, spans = repeated_spans(docs, window, k)
+    own = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
+    extra = [F.struct(*carry).alias("carried")] if carry else []
+    spans = repeated_spans(docs.select(*own), window, k)
+    named = docs.select(*own, *extra).withColumn("text_hash", F.xxhash64("text"))
     spans = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "windows")).alias("spans")).withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     joined = named.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     kept = "kept_text" if with_text else "kept_sha256"
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return joined.select("doc_id", "text", "spans").mapInArrow(_remove(window, with_text), schema).withColumnRenamed("kept", kept)
+    schema = T.StructType([T.StructField("doc_id", named.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), *(f for f in named.schema if f.name == "carried")])
+    return joined.select("doc_id", "text", "spans", *(["carried"] if carry else [])).mapInArrow(_remove(window, with_text), schema).withColumnRenamed("kept", kept)
