@@ -7,6 +7,7 @@ distinct chunk is encoded once. The cache is bounded and lives as long as its Py
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
@@ -34,7 +35,14 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str], group: int = 256) -> Iterator[bytes]:
         for lo in range(0, len(texts), group):
-            yield from self._group(texts[lo : lo + group])
+            collects = gc.isenabled()
+            gc.disable()  # a group makes many small lists and no cycles
+            try:
+                found = self._group(texts[lo : lo + group])
+            finally:
+                if collects:
+                    gc.enable()
+            yield from found
 
     def _group(self, texts: list[str]) -> list[bytes]:
         get = self.after_space.get
