@@ -37,10 +37,10 @@ class MergeReplay:
         self.pairs: dict[tuple[int, int], int] = {}  # bounded: ranks are few and only adjacent tokens are asked for
 
     def pair_rank(self, a: int, b: int) -> int:
-        """The rank of the token that a and b make, or -1."""
+        """The rank of the token that a and b make, or -1; negative tokens make none."""
         rank = self.pairs.get((a, b))
         if rank is None:
-            rank = self.ranks.get(self.token[a] + self.token[b], -1)
+            rank = self.ranks.get(self.token[a] + self.token[b], -1) if a >= 0 and b >= 0 else -1
             if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
             self.pairs[a, b] = rank
@@ -67,10 +67,15 @@ class MergeReplay:
         n = len(token)
         following, before = list(range(1, n + 1)), list(range(-1, n - 1))
         index: dict[int, list[int]] = {}
-        pair_rank = self.pair_rank
-        for p in range(n - 1):
-            if token[p] >= 0 and token[p + 1] >= 0 and (r := pair_rank(token[p], token[p + 1])) >= 0:
-                index.setdefault(r, []).append(p)
+        pair_rank, known = self.pair_rank, self.pairs.get  # most pairs are known: a look-up is cheaper than a call
+        for p, pair in enumerate(zip(token, token[1:])):
+            if (r := known(pair)) is None:
+                r = pair_rank(*pair)
+            if r >= 0:
+                if r in index:
+                    index[r].append(p)
+                else:
+                    index[r] = [p]
         queue = list(index)
         heapq.heapify(queue)
         again: set[int] = set()
@@ -81,14 +86,22 @@ class MergeReplay:
                 if a < 0:
                     continue
                 q = following[p]
-                if (b := token[q]) < 0 or pair_rank(a, b) != rank:
+                pair = a, token[q]
+                if (r := known(pair)) is None:
+                    r = pair_rank(*pair)
+                if r != rank:
                     continue  # changed since it was entered
                 token[p], token[q] = rank, -2
                 after = following[p] = following[q]
                 before[after] = p
                 left = before[p]
                 for x, y in ((left, p), (p, after)):
-                    if x >= 0 and token[x] >= 0 and token[y] >= 0 and (r := pair_rank(token[x], token[y])) >= 0:
+                    if x < 0:
+                        continue
+                    pair = token[x], token[y]
+                    if (r := known(pair)) is None:
+                        r = pair_rank(*pair)
+                    if r >= 0:
                         if r <= rank:
                             again.add(bisect_right(starts, p) - 1)
                         elif r in index:
