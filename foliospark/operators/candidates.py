@@ -74,3 +74,11 @@ def split_columns(tokens: DataFrame, doc: str, idx: str, left: str, right: str,
     cut = placed.withColumn("__rank", F.row_number().over(by.orderBy(F.desc_nulls_last("__gap"), "__k")))
     column = F.sum(F.when(F.col("__gap").isNotNull() & (F.col("__rank") < F.col(groups)), 1).otherwise(0)).over(by.orderBy("__k")).cast("int")
     return cut.withColumn("column", column).filter((F.col(groups) > 0) & (F.col("__n") >= F.col(groups))).select(doc, idx, "column")
+
+
+def reading_suspicion(word_count: Column, numeric: Column, hits: Column, mean: Column) -> Column:
+    """0 to 4 points for a poor reading; ``mean`` is the unrounded confidence and ``hits`` the number of critical words."""
+    document = (word_count >= 8) | (hits >= 2) | (numeric >= 3)
+    one = lambda c: c.cast("int")
+    poor = F.when(word_count == 0, 2).when(document, one(hits == 0) + one(mean < 45)).otherwise(one(mean < 35))
+    return F.least(F.lit(4), poor + one(document & (numeric == 0)))

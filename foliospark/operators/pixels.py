@@ -101,3 +101,29 @@ def error_level_column(pixels: Column, width: Column, quality: int = 90, only_in
         return pd.Series([None if d is None or not w else error_level(np.frombuffer(d, np.uint8).reshape(-1, int(w)), quality, only_ink) for d, w in zip(data, columns, strict=True)], dtype="Int32")
 
     return measure(pixels, width)
+
+
+# Mean distance of a corner from white and mean saturation above which an image is a photo.
+PHOTO_CORNER, PHOTO_SATURATION = 60.0, 40.0
+
+
+def capture_mode(rgb: np.ndarray) -> tuple[str, float, float]:
+    """(mode, greatest distance of a corner's mean colour from white, mean saturation) of a height by width by 3 image."""
+    h, w = rgb.shape[:2]
+    side = max(10, min(h, w) // 12)
+    corners = [rgb[ys, xs].reshape(-1, 3) for ys in (slice(0, side), slice(max(h - side, 0), h)) for xs in (slice(0, side), slice(max(w - side, 0), w))]
+    distance = max(float(np.linalg.norm(c.mean(axis=0) - 255.0)) for c in corners)
+    most, least = rgb.max(axis=2).astype(np.float64), rgb.min(axis=2)
+    saturation = float(np.floor(np.divide(most - least, most, out=np.zeros_like(most), where=most > 0) * 255).mean())
+    return "photo" if distance > PHOTO_CORNER or saturation > PHOTO_SATURATION else "digital_or_scan", round(distance, 1), round(saturation, 1)
+
+
+def capture_mode_column(pixels: Column, width: Column) -> Column:
+    """``capture_mode`` of images stored as RGB bytes in row order; no pixels: ``digital_or_scan`` without measures."""
+
+    @F.pandas_udf("mode string, corner_distance double, saturation double")
+    def measure(data: pd.Series, columns: pd.Series) -> pd.DataFrame:
+        found = [("digital_or_scan", None, None) if not d or not w else capture_mode(np.frombuffer(d, np.uint8).reshape(-1, int(w), 3)) for d, w in zip(data, columns, strict=True)]
+        return pd.DataFrame(found, columns=["mode", "corner_distance", "saturation"])
+
+    return measure(pixels, width)
