@@ -33,20 +33,26 @@ WEIGHTS = np.array([0] + [1] * 64 + [2] * len(_TWO), np.uint8)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """64 bits, each the majority of that bit over the XXH64 of all word shingles of the text."""
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> list[int]:
+    """The XXH64 of all word shingles of the text, or of all its words if they are fewer than a shingle."""
     words = text.lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) < shingle:
-        hashes = [digest(joined, seed)]
-    else:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        hashes = [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+        return [digest(joined, seed)]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    return [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """64 bits, each the majority of that bit over the XXH64 of all word shingles of the text."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not hashes:
+        return 0
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 8192):
         part = np.array(hashes[lo : lo + 8192], "<u8").view(np.uint8).reshape(-1, 8)
