@@ -8,6 +8,7 @@ posterior share of bad pages is above a threshold; explicit rules come first.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -79,21 +80,65 @@ def host_reputation(outcomes: DataFrame, threshold: float = 0.5, z: float = 1.64
     it are the overall rate and the prior strengths of domains and hosts. Rows of null host or
     outcome are no outcomes.
     """
+    found = _reputation(outcomes, z)
+    return found.hosts, found.rate, found.m_domain, found.m_host
+
+
+@dataclass(frozen=True)
+class _Reputation:
+    """The levels' tables, (domain, domain_rate) and (suffix, suffix_rate), and the prior strengths of each."""
+
+    hosts: DataFrame
+    domains: DataFrame
+    suffixes: DataFrame
+    rate: float
+    m_suffix: float
+    m_domain: float
+    m_host: float
+
+
+def _suffix(domain: str) -> Column:
+    return F.expr(f"substring({domain}, length(substring_index({domain}, '.', 1)) + 2)")
+
+
+def _reputation(outcomes: DataFrame, z: float) -> _Reputation:
     hosts = outcomes.filter("host IS NOT NULL AND bad IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("y"))
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", F.expr("substring(domain, length(substring_index(domain, '.', 1)) + 2)"))
+    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", _suffix("domain"))
     total = hosts.agg(F.sum("y").alias("y"), F.sum("n").alias("n")).first()
     rate = ((total["y"] or 0) + 1) / ((total["n"] or 0) + 2)
 
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).withColumn("overall", F.lit(float(rate)))
-    m = _precision(suffixes, "overall")
-    suffixes = suffixes.select("suffix", ((F.col("y") + m * rate) / (F.col("n") + m)).alias("suffix_rate"))
+    m_suffix = _precision(suffixes, "overall")
+    suffixes = suffixes.select("suffix", ((F.col("y") + m_suffix * rate) / (F.col("n") + m_suffix)).alias("suffix_rate"))
     domains = domains.join(suffixes, "suffix")
     m_domain = _precision(domains, "suffix_rate")
     domains = domains.select("domain", ((F.col("y") + m_domain * F.col("suffix_rate")) / (F.col("n") + m_domain)).alias("domain_rate"))
     hosts = hosts.join(domains, "domain")
     m_host = _precision(hosts, "domain_rate")
-    return posterior(hosts, m_host, z), rate, m_domain, m_host
+    return _Reputation(posterior(hosts, m_host, z), domains, suffixes, rate, m_suffix, m_domain, m_host)
+
+
+def _prior_bound(rate: Column, strengths: Sequence[float], z: float) -> Column:
+    """Lower bound of a host without outcomes, ``rate`` being known ``len(strengths)`` levels above it.
+
+    Each level between spreads the share once more: its variance is p (1 - p) (1 - the product of m / (m + 1)).
+    """
+    spread = 1 - math.prod(m / (m + 1) for m in strengths)
+    return rate - z * F.sqrt(rate * (1 - rate) * spread)
+
+
+def host_bounds(hosts: DataFrame, found: _Reputation, z: float) -> DataFrame:
+    """(host, bad_bound): a host's own posterior, else the prior from its domain, its suffix or all outcomes."""
+    known = found.hosts.select("host", "bound")
+    named = hosts.join(known, "host", "left").withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", _suffix("domain"))
+    named = named.join(found.domains, "domain", "left").join(found.suffixes, "suffix", "left")
+    prior = F.coalesce(
+        _prior_bound(F.col("domain_rate"), [found.m_host], z),
+        _prior_bound(F.col("suffix_rate"), [found.m_host, found.m_domain], z),
+        _prior_bound(F.lit(float(found.rate)), [found.m_host, found.m_domain, found.m_suffix], z),
+    )
+    return named.select("host", F.coalesce("bound", F.when(F.col("host") != "", prior)).alias("bad_bound"))
 
 
 def posterior(hosts: DataFrame, strength: float, z: float) -> DataFrame:
@@ -107,14 +152,14 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[UrlRule],
     """One row per row of ``pages``: page_id, host, path, rule, verdict, bad_bound.
 
     ``outcomes`` has url and bad (0 or 1), one row per labelled page. A null url, or one without
-    ``://``, has empty host and path, which no rule fits. Hosts without outcomes, the empty one
-    too, are never blocked by their reputation alone: their bound is null. Repeated rows are
-    judged alike; an empty table gives an empty result; other columns are ignored.
+    ``://``, has empty host and path, which no rule fits. Hosts without outcomes take the
+    bound of the prior from their registered domain, else their suffix, else all outcomes; only
+    an empty host without outcomes has no reputation and a null bound. Repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
     """
     judged = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     judged = judged.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-    table, *_ = host_reputation(outcomes.select(url_host(F.col("url")).alias("host"), F.col("bad").cast("long").alias("bad")), threshold, z)
-    judged = judged.join(table.select("host", F.col("bound").alias("bad_bound")), "host", "left")
+    found = _reputation(outcomes.select(url_host(F.col("url")).alias("host"), F.col("bad").cast("long").alias("bad")), z)
+    judged = judged.join(host_bounds(judged.select("host").distinct(), found, z), "host", "left")
     verdict = F.when(F.col("bad_bound") > threshold, "block").otherwise("allow")
     for r in rules:
         verdict = F.when(F.col("rule") == r.text, F.lit(r.verdict)).otherwise(verdict)
