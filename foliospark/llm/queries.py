@@ -103,13 +103,24 @@ g1 AS (SELECT h.host, h.n, h.y, d.p, least(greatest(d.p, 0.001), 0.999) AS c FRO
 gm AS (SELECT 1 / least(0.5, greatest(0.01, CASE WHEN sum(n * (n - 1)) > 0 THEN (sum((y - n * c) * (y - n * c) / (c * (1 - c))) - sum(n)) / sum(n * (n - 1)) ELSE 0.1 END)) - 1 AS m FROM g1),
 g2 AS (SELECT host, y + m * p AS a, n - y + m * (1 - p) AS z FROM g1, gm),
 g AS (SELECT host, a / (a + z) - 1.645 * sqrt(a / (a + z) * (1 - a / (a + z)) / (a + z + 1)) AS bad_bound FROM g2),
+k0 AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM u),
+k1 AS (
+  SELECT host, array_to_string(p[CASE WHEN len(p) >= 3 AND len(p[-1]) = 2 AND p[-2] IN ('ac','co','com','edu','gov','net','org') THEN -3 ELSE -2 END:], '.') AS domain FROM k0
+),
+k2 AS (SELECT *, CASE WHEN contains(domain, '.') THEN substr(domain, instr(domain, '.') + 1) ELSE '' END AS suffix FROM k1),
+k3 AS (
+  SELECT k2.host, g.bad_bound, coalesce(d.p, s.p, t.rate) AS p,
+         gm.m / (gm.m + 1) * CASE WHEN d.p IS NULL THEN dm.m / (dm.m + 1) ELSE 1 END * CASE WHEN d.p IS NULL AND s.p IS NULL THEN sm.m / (sm.m + 1) ELSE 1 END AS kept
+  FROM k2 LEFT JOIN g USING (host) LEFT JOIN d USING (domain) LEFT JOIN s USING (suffix), t, gm, dm, sm
+),
+k AS (SELECT host, CASE WHEN bad_bound IS NOT NULL THEN bad_bound WHEN host <> '' THEN p - 1.645 * sqrt(p * (1 - p) * (1 - kept)) END AS bad_bound FROM k3),
 j AS (
   SELECT u.*, bad_bound, CASE
     WHEN (u.host = 'example.net' OR suffix(u.host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (u.host = 'example.com' OR suffix(u.host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (u.host = 'org' OR suffix(u.host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (u.host = 'net' OR suffix(u.host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
-  FROM u LEFT JOIN g USING (host)
+  FROM u LEFT JOIN k USING (host)
 )
 SELECT page_id, host, path, rule,
        CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' ELSE CASE WHEN bad_bound > 0.5 THEN 'block' ELSE 'allow' END END AS verdict
