@@ -9,8 +9,6 @@ and of ranges of ranks within a length; every piece finds its own place by its r
 
 from __future__ import annotations
 
-import re
-import struct
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass
@@ -23,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.llm.common import materialise
+from foliospark.llm.merges import WordMerges
 from foliospark.llm.tokenise import ChunkEncoder
 
 _RANK_BITS = 50
@@ -91,33 +90,20 @@ def plan_packing(counts: dict[int, int], capacity: int) -> tuple[list[Placement]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
-#: A word of Latin letters behind a space is one match of the splitting pattern.
-_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-
-
-def _byte_letters() -> dict[int, str]:
-    """Byte-level BPE's letter for each byte: visible Latin-1 characters are themselves, the others follow from 256."""
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in visible]
-    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 def encoder_of(path: str) -> ChunkEncoder:
     """The worker's chunk cache for a vocabulary file of the ``tokenizers`` library.
 
-    Plain words go to the library's BPE model straight away; other chunks go through the whole
-    tokenizer in one call, a special token between them keeping them apart.
+    Plain words are merged many at once, as the library would; other chunks go through the
+    library's whole tokenizer in one call, a special token between them keeping them apart.
     """
     if path not in _encoders:
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         tokenizer = Tokenizer.from_file(path)
         specials = {str(t): i for i, t in tokenizer.get_added_tokens_decoder().items()}
         mark, mark_id = next(iter(specials.items()), ("", -1))
-        direct = isinstance(tokenizer.pre_tokenizer, ByteLevel) and tokenizer.normalizer is None
-        letters, model = _byte_letters(), tokenizer.model
-
         def whole(chunks: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
@@ -127,20 +113,15 @@ def encoder_of(path: str) -> ChunkEncoder:
             data = ids.tobytes()
             return [data[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
 
-        def word(chunk: str) -> bytes:
-            return struct.pack(f"<{len(t)}I", *[x.id for x in t]) if (t := model.tokenize(chunk.encode().decode("latin-1").translate(letters))) else b""
-
         def encode_many(chunks: list[str]) -> list[bytes]:
-            plain = [c for c in chunks if direct and c[:1] == " " and _WORD.fullmatch(c, 1)]
-            found = {c: word(c) for c in plain}
-            rest = [c for c in chunks if c not in found]
-            free = [c for c in rest if mark and mark not in c]
-            odd = [c for c in rest if not mark or mark in c]
-            found |= dict(zip(free, between(free), strict=True)) if free else {}
-            found |= dict(zip(odd, whole(odd), strict=True)) if odd else {}
-            return [found[c] for c in chunks]
-
-        _encoders[path] = ChunkEncoder(encode_many)
+            found: list[bytes] = [b""] * len(chunks)
+            for apart, encode in ((True, between), (False, whole)):
+                some = [k for k, c in enumerate(chunks) if apart == bool(mark and mark not in c)]
+                for k, ids in zip(some, encode([chunks[k] for k in some]) if some else (), strict=True):
+                    found[k] = ids
+            return found
+
+        _encoders[path] = ChunkEncoder(encode_many, WordMerges.of(tokenizer.to_str()))
     return _encoders[path]
 
 

@@ -108,3 +108,25 @@ def test_pack_query(spark):
     n = check_bins([(r.sequence_id, r.offset, r.length) for r in out], 1024)
     assert n <= sum(r.length for r in out) / 1024 * 1.02 + 1
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), JSON).collect() == []
+
+
+LATIN = st.text(st.sampled_from("abcdeinrstuhAEIÉéñßüöçøłșȚ"), min_size=1, max_size=40)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(LATIN, st.sampled_from(["", ",", ".***", "!!", "'s", "7", "7;", "-", "(.", "\n"])), min_size=1, max_size=40), st.sampled_from([" ", "\n", "  ", "\x01", "\t"]))
+def test_latin_words_equal_tokenizers(words, between):
+    whole = Tokenizer.from_file(JSON) if not hasattr(test_latin_words_equal_tokenizers, "t") else test_latin_words_equal_tokenizers.t
+    test_latin_words_equal_tokenizers.t = whole
+    texts = [between.join(w + tail for w, tail in words), *(w + tail for w, tail in words), ""]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder_of(JSON).encode(list(texts))]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_small_groups_and_long_texts():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["alpha", "beta,", "x\ny", "  ", "12."], n)) for n in (0, 1, 500, 3, 20_000, 7)]
+    whole, encoder = Tokenizer.from_file(JSON), encoder_of(JSON)
+    for size in (1, 50, 1000, 1 << 22):
+        small = type(encoder)(encoder.encode_many, encoder.words, limit=2, size=size)
+        assert [np.frombuffer(x, "<u4").tolist() for x in small.encode(list(texts))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
