@@ -128,22 +128,29 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
     return blocks.groupBy("block").applyInArrow(_merge_blocks(base_bits), "fp long, n long")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty, and empty texts are equal to each other. The row with the
     largest id stays; null ids are the smallest. Of rows that repeat the largest id too,
     exactly one has ``kept``. An empty table gives an empty result; other columns are ignored.
+
+    Up to ``broadcast_rows`` repeated fingerprints (of 16 bytes) are broadcast to the scan of the
+    texts, so only the texts of these are shuffled; beyond that, texts are shuffled by id.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     fp = F.xxhash64(text)
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), fp.alias("fp"), F.unhex(F.sha2(text, 256)).alias("sha"), F.monotonically_increasing_id().alias("uid")), "dedup-rows")
     repeated = materialise(repeated_fingerprints(rows.select("fp"), rows.count()), "dedup-repeated")
-    suspects = rows.join(repeated, "fp", "left_semi")
-    # Texts move by id, so a group of copies is spread out; copies within a task are counted before the second shuffle.
-    ids = suspects.select(F.col("doc_id").alias("suspect_id")).distinct()
+    few = repeated.count() <= broadcast_rows
+    suspects = rows.join(F.broadcast(repeated) if few else repeated, "fp", "left_semi")
     texts = docs.select(F.col(id_col).alias("doc_id"), fp.alias("fp"), text.alias("text"))
-    texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")
+    if few:  # unique texts stay where they are scanned
+        texts = texts.join(F.broadcast(repeated.select("fp")), "fp", "left_semi")
+    else:
+        # Texts move by id, so a group of copies is spread out; copies within a task are counted before the second shuffle.
+        ids = suspects.select(F.col("doc_id").alias("suspect_id")).distinct()
+        texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")
     verified = texts.groupBy("fp", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     verified = verified.filter("group_size > 1").select("fp", F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
     winners = suspects.groupBy("fp", "sha").agg(F.max(F.struct("doc_id", "uid")).alias("top"))
