@@ -27,7 +27,7 @@ from foliospark.llm.common import materialise
 _PLACE_BITS = 24
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 #: Words handled at once; longer texts are cut into overlapping runs.
-_RUN = 1 << 20
+_RUN = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -171,14 +171,15 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
     them from word ``place`` on.
 
     A document is named by its id and text hash, so rows that repeat an id stay apart, and rows
-    that repeat both share their spans.
+    that repeat both share their spans, which may be listed once a row.
     """
     id_type = docs.schema["doc_id"].dataType
     named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     key = [T.StructField("doc_id", id_type), T.StructField("text_hash", T.LongType())]
     schema = T.StructType([*key, T.StructField("place", T.IntegerType()), T.StructField("windows", T.IntegerType()), T.StructField("edge", T.LongType()), T.StructField("content", T.LongType())])
     paths = materialise(named.mapInArrow(_find_paths(window, k), schema), "repeat-paths")
-    edges = paths.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("edge")
+    # Written first, so that adaptive execution can split an edge with very many paths in the join.
+    edges = materialise(paths.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("edge"), "repeat-edges")
     paths = materialise(paths.join(edges, "edge", "left_semi"), "repeat-candidates")
     # One row for each distinct path, with an occurrence of it.
     contents = paths.groupBy("edge", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash", "place", "windows")).alias("at"))
@@ -213,7 +214,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = 12, id_col: str =
     extra = [F.struct(*carry).alias("carried")] if carry else []
     spans = repeated_spans(docs.select(*own), window, k)
     named = docs.select(*own, *extra).withColumn("text_hash", F.xxhash64("text"))
-    spans = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "windows")).alias("spans")).withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+    spans = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("place", "windows")).alias("spans")).withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     joined = named.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     kept = "kept_text" if with_text else "kept_sha256"
     schema = T.StructType([T.StructField("doc_id", named.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()), *(f for f in named.schema if f.name == "carried")])
