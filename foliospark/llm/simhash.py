@@ -31,6 +31,8 @@ _TWO = [1 << i | 1 << j for h in (0, 32) for i in range(h, h + 32) for j in rang
 MASKS = np.array([0, *_ONE, *_TWO], np.uint64)
 WEIGHTS = np.array([0] + [1] * 64 + [2] * len(_TWO), np.uint8)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Fingerprints whose variants (about 64 MB) one task emits.
+EMITTERS = 12_000
 
 
 def shingle_hashes(text: bytes, shingle: int, seed: int) -> list[int]:
@@ -126,7 +128,9 @@ def near_links(distinct: DataFrame, count: int) -> DataFrame:
     Variants go to buckets of about a million by a mix of all their bits, so buckets stay even.
     """
     bucket_bits = partition_bits(count * (len(MASKS) + 65) // 2, 1 << 20)
-    emitted = distinct.mapInArrow(_emit(bucket_bits), "bucket long, variants binary, codes binary")
+    # A fingerprint of eight bytes becomes some 5.6 KB: a small table must be dealt out before that.
+    spread = distinct.repartition(max(1, -(-count // EMITTERS)))
+    emitted = spread.mapInArrow(_emit(bucket_bits), "bucket long, variants binary, codes binary")
     return emitted.groupBy("bucket").applyInArrow(_meet, "a long, b long")
 
 
