@@ -17,37 +17,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Classes of characters: 0 is no letter, 1 to 26 are a to z, other letters share the rest.
-_CLASSES = 64
-N_GRAMS = _CLASSES + _CLASSES**2 + _CLASSES**3
+#: N-grams of letters of any script are told apart by a hash of this many bits.
+_BITS = 18
+N_GRAMS = 1 << _BITS
 RESULT = "struct<lang_pred: string, score: double>"
 
 _table: np.ndarray | None = None
 
 
-def _classes() -> np.ndarray:
+def _letters() -> np.ndarray:
+    """Each character's lower-case letter, 0 for all that are none."""
     global _table
     if _table is None:
-        low = np.zeros(0x110000, np.uint8)
+        low = np.zeros(0x110000, np.uint32)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
-                base = ord(c.lower()[0])
-                low[cp] = base - 96 if 97 <= base <= 122 else 27 + (base * 2654435761 >> 7) % (_CLASSES - 27)
+                low[cp] = ord(c.lower()[0])
         _table = low
     return _table
 
 
+_FACTORS = [np.array(f, np.uint32) for f in ((0x9E3779B1,), (0x85EBCA77, 0xC2B2AE3D), (0x27D4EB2F, 0x165667B1, 0xD3A2646D))]
+
+
 def presence(text: str, into: np.ndarray) -> bool:
     """Marks the text's n-grams in ``into`` (N_GRAMS, of zeros); false if it has no letter."""
-    code = _classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    code = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     if not code.any():
         return False
-    one = code.astype(np.int32)
-    into[one] = True
-    two = one[:-1] * _CLASSES + one[1:]
-    into[two + _CLASSES] = True
-    into[two[:-1] * _CLASSES + one[2:] + (_CLASSES + _CLASSES**2)] = True
+    for factors in _FACTORS:
+        n = len(code) - len(factors) + 1
+        if n > 0:
+            mixed = code[:n] * factors[0]
+            for i in range(1, len(factors)):
+                mixed = (mixed ^ mixed >> np.uint32(15)) * factors[0] + code[i : i + n] * factors[i]
+            into[(mixed ^ mixed >> np.uint32(16)) * np.uint32(0x7FEB352D) >> np.uint32(32 - _BITS)] = True
     return True
 
 
@@ -81,15 +86,20 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks_per_language: int = 32, ri
 
     landmarks = (matrix(chosen) / np.sqrt([[len(c)] for c in chosen])).T.astype(np.float32)
     among = landmarks.T.astype(np.float64) @ landmarks
-    k = (matrix([c for _, c in rows]) @ landmarks).astype(np.float64) / np.sqrt([[len(c)] for _, c in rows])
     values, vectors = np.linalg.eigh(among)
     good = values > 1e-8 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
-    z = np.c_[k @ root, np.ones(len(rows))]
-    y = np.array([[1.0 if lang == x else -1.0 for x in languages] for lang, _ in rows])
-    penalty = np.eye(z.shape[1]) * ridge * len(rows)
-    penalty[-1, -1] = 1e-9
-    solved = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    width = root.shape[1] + 1
+    normal, target = np.eye(width) * ridge * len(rows), np.zeros((width, len(languages)))
+    normal[-1, -1] = 1e-9
+    for lo in range(0, len(rows), 256):  # normal equations are summed, so that only some rows are dense at a time
+        part = rows[lo : lo + 256]
+        k = (matrix([c for _, c in part]) @ landmarks).astype(np.float64) / np.sqrt([[len(c)] for _, c in part])
+        z = np.c_[k @ root, np.ones(len(part))]
+        y = np.array([[1.0 if lang == x else -1.0 for x in languages] for lang, _ in part])
+        normal += z.T @ z
+        target += z.T @ y
+    solved = np.linalg.solve(normal, target)
     return KernelModel(languages, vocabulary, landmarks, (root @ solved[:-1]).astype(np.float32), solved[-1].astype(np.float32))
 
 
@@ -141,12 +151,16 @@ def train(docs: DataFrame, per_language: int = 300, landmarks_per_language: int
     ``max_languages`` languages are an error.
     """
     usable = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    keyed = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("doc_id"), F.xxhash64(F.lit("train"), id_col).alias("key"))
-    if keyed.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
+    keyed = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("doc_id"), F.shiftrightunsigned(F.xxhash64(F.lit("train"), id_col), 1).alias("key"))
+    sizes = {row["lang"]: row["count"] for row in keyed.groupBy("lang").count().limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    # Tasks keep their own first rows of a language before any are shuffled.
+    # Hashes below a language's share leave several times the rows wanted, so tasks send few, however many there are.
+    below = F.lit(None).cast("long")
+    for lang, n in sorted(sizes.items()):
+        below = F.when(F.col("lang") == lang, F.lit(min((1 << 63) - 1, (8 * per_language + 1000) * (1 << 63) // n))).otherwise(below)
     first = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id")).alias("place")
-    chosen = keyed.select("*", first).filter(F.col("place") <= per_language).select("lang", "key", "doc_id").distinct()
+    chosen = keyed.filter(F.col("key") <= below).select("*", first).filter(F.col("place") <= per_language).select("lang", "key", "doc_id").distinct()
     chosen = F.broadcast(chosen.select("lang", "key", F.col("doc_id").alias("chosen_id")))  # per_language * max_languages rows at most
     texts = usable.select(F.col(lang_col).cast("string").alias("own_lang"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.join(chosen, (F.col("doc_id") == F.col("chosen_id")) & (F.col("own_lang") == F.col("lang"))).select("lang", "key", "text")

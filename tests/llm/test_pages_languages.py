@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from foliospark.llm.html_extract import Template, extract, extract_pages, merge, outline, parse
+from foliospark.llm.html_extract import Template, extract, extract_pages, induce_wrappers, merge, outline, parse
 from foliospark.llm.language_id import UNKNOWN, fit, identify_languages, predict, presence, N_GRAMS
 
 HEAD = '<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p><article>";</script></head><body>'
@@ -121,3 +121,58 @@ def test_language_query(spark):
     unlabelled = docs.withColumn("lang", docs.lang.substr(100, 1)).replace("", None, "lang")
     assert {r.lang_pred for r in identify_languages(unlabelled).collect()} == {UNKNOWN}
     assert identify_languages(docs.limit(0)).collect() == []
+
+
+def test_letters_of_all_scripts(spark):
+    """Languages that share no letter with a-z, and two that share a script."""
+    rng = random.Random(6)
+    scripts = {"uk": "ці на що її є ві".split(), "ru": "что ы на это ни ов".split(), "el": "και το η ση μα ν".split(), "zh": "的 是 不 了 人 在".split(), "ja": "の は を 人 です が".split()}
+    rows = [(i, words(rng, scripts[lang], 25), lang, "s") for i in range(400) for lang in [rng.choice(list(scripts))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    found = {r.doc_id: r for r in identify_languages(docs).collect()}
+    held = [r for r in rows if found[r[0]].held_out]
+    assert len(held) > 50 and all(found[i].lang_pred == lang for i, _, lang, _ in held)
+
+
+def plain_site(rng, n):
+    """A page without any element that says what it is, and the texts that are its content."""
+    own = [words(rng, SYLLABLES["aa"], 12) for _ in range(rng.randrange(1, 6))]
+    menu = "".join(f'<li><a href="/{n}">{words(rng, SYLLABLES["bb"], 2)}</a></li>' for _ in range(5))
+    body = "".join(f"<p>{t}</p>" for t in own)
+    extra = f'<div class="box">{words(rng, SYLLABLES["cc"], 3)}</div>' if n % 7 == 0 else ""
+    page = f'<body class="page-{n}"><div class="a">Our site<ul id="m{n}">{menu}</ul></div><div id="id{n}"><h2>{own[0]} title</h2>{body}<p>Please share this page.</p></div><div class="z">All rights reserved</div></body>'
+    return page.replace('<div class="z">', extra + '<div class="z">'), [f"{own[0]} title", *own, *([extra[17:-6]] if extra else [])]
+
+
+def test_wrapper_decides_without_marks(spark):
+    rng = random.Random(8)
+    made = [plain_site(rng, n) for n in range(40)]
+    odd = '<body><p>Error: nothing here at all</p></body>'
+    rows = [(i, "https://plain.org/x", p) for i, (p, _) in enumerate(made)] + [(100, "https://plain.org/x", odd)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    for fan_in in (2, 64):
+        wrappers = {r.host: frozenset(map(tuple, __import__("json").loads(r.wrapper))) for r in induce_wrappers(pages, fan_in=fan_in).collect()}
+        assert all(extract(p, wrappers["plain.org"]) == "\n".join(want) for p, want in made)
+    texts = {r.page_id: r.text for r in extract_pages(pages).collect()}
+    assert [texts[i] for i in range(40)] == ["\n".join(want) for _, want in made] and texts[100] == "Error: nothing here at all"
+    assert any(extract(p) != "\n".join(want) for p, want in made)  # the wrapper is what decides
+
+
+def test_very_deep_and_unlike_pages():
+    import time
+
+    deep = "<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000
+    pages = [deep.replace("deep", f"deep {i}") + "<span class='k'>constant</span>" for i in range(4)]
+    whole = Template()
+    for p in pages:
+        whole.add(Template(outline(parse(p)), {hash(p)}))
+    assert extract(pages[2], frozenset(whole.constants())) == "deep 2"
+
+    def unlike(level, odd):
+        return f"<div class='{'a' if odd else 'b'}'>x{odd}</div><section>{unlike(level - 1, odd) if level else 'end'}</section><ul><li>{level}</ul><div class='{'c' if odd else 'd'}'>y</div>"
+
+    began = time.time()
+    merge(outline(parse(unlike(40, 0))), outline(parse(unlike(40, 1))), siblings=False)
+    assert time.time() - began < 2
+    for kept in ('<body class="no-sidebar"><article><p>kept?</p></article></body>', '<article class="post has-comments"><p>kept?</p></article>', '<div class="ad-free-reading"><p>kept?</p></div>'):
+        assert extract(kept) == "kept?"
