@@ -36,45 +36,93 @@ def token_lines(tokens: DataFrame, doc: str, line: str, idx: str, text: str, x1:
     return lines.select(doc, F.col(line).alias("line"), "top", "ts", below.alias("below"), _joined(F.col("ts")).alias("line_text"))
 
 
+def receipts(lines: DataFrame, doc: str) -> DataFrame:
+    """(doc, lines): every document's rows of ``token_lines`` from top to bottom, without another shuffle."""
+    return lines.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("top", "line", "ts", "below", "line_text"))).alias("lines"))
+
+
 def _joined(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: t["text"]), " ")
 
 
-def _span(text: Column, pattern: str) -> Column:
-    """struct<start, stop> of the first match in characters from 0; null without one."""
-    return let(F.get(spans(text, pattern), 0), lambda m: F.when(m.isNotNull(), F.struct(m["start"].alias("start"), m["stop"].alias("stop"))))
+def first_span(text: Column, pattern: str) -> Column:
+    """struct<label, start, stop> of the first match in characters from 0; null without one."""
+    return F.get(spans(text, pattern), 0)
 
 
-def _covered(tokens: Column, span: Column) -> Column:
+def covered(tokens: Column, span: Column) -> Column:
     """The tokens that a span of their joined text touches."""
-    start = lambda i: F.length(_joined(F.slice(tokens, 1, i))) + F.when(i > 0, 1).otherwise(0)
-    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), start(i).alias("at")))
-    touched = F.filter(placed, lambda p: (p["at"] < span["stop"]) & (p["at"] + F.length(p["t"]["text"]) > span["start"]))
-    return F.transform(touched, lambda p: p["t"])
+    sizes = F.transform(tokens, lambda t: F.length(t["text"]))
 
+    def touched(n: Column) -> Column:
+        start = lambda i: F.aggregate(F.slice(n, 1, i), i, lambda a, x: a + x)  # noqa: E731  a space behind each token before
+        placed = F.transform(tokens, lambda t, i: F.struct(t.alias("t"), start(i).alias("at"), F.get(n, i).alias("n")))
+        return F.filter(placed, lambda p: (p["at"] < span["stop"]) & (p["at"] + p["n"] > span["start"]))
 
-def _with_label(lines: DataFrame, span: Column) -> DataFrame:
-    found = lines.withColumn("span", span).filter("span IS NOT NULL").withColumn("label", _covered(F.col("ts"), F.col("span")))
-    return found.withColumns({"label_x1": F.array_min(F.transform("label", lambda t: t["x1"])), "label_x2": F.array_max(F.transform("label", lambda t: t["x2"]))})
+    return F.transform(let(sizes, touched), lambda p: p["t"])
 
 
-def labelled_values(lines: DataFrame, pattern: str, valid: Callable[[Column], Column]) -> DataFrame:
-    """Adds ``value`` to the lines with a label and keeps those that have a valid one.
+def left_edge(tokens: Column) -> Column:
+    return F.array_min(F.transform(tokens, lambda t: t["x1"]))
+
+
+def right_edge(tokens: Column) -> Column:
+    return F.array_max(F.transform(tokens, lambda t: t["x2"]))
+
+
+def nearest_token(tokens: Column, x1: Column, x2: Column) -> Column:
+    """The token nearest to the middle of an extent, the earlier one of equals; null beyond GAP_RATIO extents of at least LEAST_GAP."""
+    middle = (x1 + x2) / 2
+    near = F.array_min(F.transform(tokens, lambda t, i: F.struct(F.abs((t["x1"] + t["x2"]) / 2 - middle).alias("d"), i.alias("i"))))
+    return let(near, lambda n: F.when(n["d"] <= F.greatest(x2 - x1, F.lit(LEAST_GAP)) * GAP_RATIO, F.get(tokens, n["i"])))
+
+
+def values_row(tokens: Column) -> Column:
+    """At least half of the tokens, and one, have digits."""
+    return F.coalesce(F.size(F.filter(tokens, lambda t: is_numeric(t["text"]))) >= F.greatest(F.lit(1.0), F.size(tokens) / 2), F.lit(False))
+
+
+def labelled_value(line: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
+    """The valid value of a line's label, or null.
 
     The rest of the line counts first; else the tokens below that lie in the label's column,
-    which reaches from the token left of the label to the one right of it. Narrow.
+    which reaches from the token left of the label to the one right of it.
     """
-    found = _with_label(lines, _span(F.col("line_text"), pattern))
-    rest = F.btrim(F.expr("substring(line_text, span.stop + 1)"), F.lit(EDGES))
-    left = F.array_max(F.transform(F.filter("ts", lambda t: t["x2"] <= F.col("label_x1")), lambda t: t["x2"]))
-    right = F.array_min(F.transform(F.filter("ts", lambda t: t["x1"] >= F.col("label_x2")), lambda t: t["x1"]))
-    found = found.withColumns({"rest": rest, "left": left, "right": right})
-    inside = lambda t: (F.col("left").isNull() | (t["x1"] >= F.col("left") - TOLERANCE)) & (F.col("right").isNull() | (t["x2"] <= F.col("right") + TOLERANCE))
-    by_left = F.array_sort(F.transform(F.filter("below", inside), lambda t: F.struct(t["x1"].alias("x1"), t["idx"].alias("idx"), t["text"].alias("text"))))
-    found = found.withColumn("under", F.btrim(_joined(by_left), F.lit(EDGES)))
-    ok = lambda c: F.coalesce((F.col(c) != "") & valid(F.col(c)), F.lit(False))
-    value = F.when(ok("rest"), F.col("rest")).when(ok("under"), F.col("under"))
-    return found.withColumn("value", value).filter("value IS NOT NULL").select(*lines.columns, "value")
+    tokens = line["ts"]
+
+    def under(label: Column) -> Column:
+        left = right_edge(F.filter(tokens, lambda t: t["x2"] <= label["x1"]))
+        right = left_edge(F.filter(tokens, lambda t: t["x1"] >= label["x2"]))
+        column = F.struct(left.alias("left"), right.alias("right"))
+
+        def read(c: Column) -> Column:
+            inside = lambda t: (c["left"].isNull() | (t["x1"] >= c["left"] - TOLERANCE)) & (c["right"].isNull() | (t["x2"] <= c["right"] + TOLERANCE))
+            found = F.transform(F.filter(line["below"], inside), lambda t: F.struct(t["x1"].alias("x1"), t["idx"].alias("idx"), t["text"].alias("text")))
+            return F.btrim(_joined(F.array_sort(found)), F.lit(EDGES))
+
+        return let(column, read)
+
+    good = lambda v: F.when(F.coalesce((v != "") & valid(v), F.lit(False)), v)
+
+    def look(span: Column) -> Column:
+        rest = F.btrim(F.substring(line["line_text"], span["stop"] + 1, F.length(line["line_text"])), F.lit(EDGES))
+        extent = let(covered(tokens, span), lambda label: F.struct(left_edge(label).alias("x1"), right_edge(label).alias("x2")))
+        return F.when(span.isNotNull(), F.coalesce(let(rest, good), let(let(extent, under), good)))
+
+    return let(first_span(line["line_text"], pattern), look)
+
+
+def column_values(lines: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
+    """A document's valid values of a label from top to bottom, from the ``lines`` of ``receipts``. Narrow."""
+    return F.filter(F.transform(lines, lambda x: labelled_value(x, pattern, valid)), lambda v: v.isNotNull())
+
+
+def labelled_values(lines: DataFrame, pattern: str, valid: Callable[[Column], Column]) -> DataFrame:
+    """Adds ``value`` to the lines with a label and keeps those that have a valid one. Narrow."""
+    line = F.struct("ts", "below", "line_text")
+    # An exploded value can't be pushed into a filter, so it is read once.
+    found = F.explode_outer(F.array(let(line, lambda x: labelled_value(x, pattern, valid))))
+    return lines.select("*", found.alias("value")).filter("value IS NOT NULL")
 
 
 def first_value(values: DataFrame, doc: str, name: str = "value") -> DataFrame:
@@ -87,20 +135,27 @@ def all_values(values: DataFrame, doc: str, name: str = "values") -> DataFrame:
     return values.groupBy(doc).agg(F.transform(F.sort_array(F.collect_list(F.struct("top", "line", "value"))), lambda v: v["value"]).alias(name))
 
 
-def table_amount(lines: DataFrame, doc: str, patterns: Sequence[str]) -> DataFrame:
-    """(doc, amount, raw): the amount below a column header, nearest to the header's centre, of the uppermost line that has one.
+def amount_below(lines: Column, patterns: Sequence[str]) -> Column:
+    """struct<amount, raw>: the amount below a column header, nearest to the header's centre, of the uppermost line that has one."""
 
-    At least half of the lower line's tokens must have digits; the earlier token wins ties.
-    """
-    found = _with_label(lines, F.coalesce(*(_span(F.col("line_text"), f"(?iU){p}") for p in patterns)))
-    digits = F.size(F.filter("below", lambda t: is_numeric(t["text"])))
-    found = found.filter((F.size("below") > 0) & (digits >= F.greatest(F.lit(1.0), F.size("below") / 2)))
-    centre = (F.col("label_x1") + F.col("label_x2")) / 2
-    near = F.array_min(F.transform("below", lambda t, i: F.struct(F.abs((t["x1"] + t["x2"]) / 2 - centre).alias("d"), i.alias("i"), t["text"].alias("text"))))
-    found = found.withColumn("near", near).filter(F.col("near.d") <= F.greatest(F.col("label_x2") - F.col("label_x1"), F.lit(LEAST_GAP)) * GAP_RATIO)
-    read = found.withColumn("amount", parse_amount(F.col("near.text"))).filter("amount IS NOT NULL")
-    best = read.groupBy(doc).agg(F.min_by(F.struct("amount", F.trim("near.text").alias("raw")), F.struct("top", "line")).alias("a"))
-    return best.select(doc, "a.amount", "a.raw")
+    def read(line: Column) -> Column:
+        span = F.coalesce(*(first_span(line["line_text"], f"(?iU){p}") for p in patterns))
+
+        def below(s: Column) -> Column:
+            label = covered(line["ts"], s)
+            token = let(label, lambda t: nearest_token(line["below"], left_edge(t), right_edge(t)))
+            value = let(token, lambda t: F.struct(parse_amount(t["text"]).alias("amount"), F.trim(t["text"]).alias("raw")))
+            return F.when(s.isNotNull() & values_row(line["below"]), value)
+
+        return let(span, below)
+
+    return F.get(F.filter(F.transform(lines, read), lambda a: a["amount"].isNotNull()), 0)
+
+
+def table_amount(lines: DataFrame, doc: str, patterns: Sequence[str]) -> DataFrame:
+    """(doc, amount, raw) of the documents that have an ``amount_below`` the label."""
+    found = receipts(lines, doc).select(doc, F.explode_outer(F.array(amount_below(F.col("lines"), patterns))).alias("a"))
+    return found.filter("a IS NOT NULL").select(doc, "a.amount", "a.raw")
 
 
 def tax_number_in_text(text: Column) -> Column:
@@ -110,32 +165,64 @@ def tax_number_in_text(text: Column) -> Column:
     return let(found, lambda f: F.coalesce(F.get(F.filter(f, lambda m: m["near"] & m["dashed"]), 0), F.get(F.filter(f, lambda m: m["near"]), 0), F.get(f, 0))["number"])
 
 
+def bare(value: Column) -> Column:
+    return F.replace(value, F.lit(" "), F.lit(""))
+
+
+def is_tax_number(value: Column) -> Column:
+    return bare(value).rlike(r"(?U)^\d{2}-?\d{8}-?\d$")
+
+
+def is_dashed(value: Column) -> Column:
+    return bare(value).rlike(DASHED_TAX_NUMBER)
+
+
+def labelled_tax_numbers(lines: Column) -> Column:
+    """A document's tax numbers beside or below their labels, each once: the dashed ones from top to bottom, then the others.
+
+    A line may offer a plain number beside its label and a dashed one below, so each kind is looked up alone.
+    """
+    dashed = F.filter(column_values(lines, TAX_LABEL, is_dashed), is_tax_number)
+    return F.array_distinct(F.transform(F.concat(dashed, column_values(lines, TAX_LABEL, is_tax_number)), bare))
+
+
+def reading_text(lines: Column) -> Column:
+    """The document's text in reading order, which is that of the line numbers."""
+    return F.array_join(F.transform(F.array_sort(F.transform(lines, lambda x: F.struct(x["line"].alias("line"), x["line_text"].alias("text")))), lambda x: x["text"]), " ")
+
+
+def tax_number(lines: Column) -> Column:
+    """The first dashed value of a label, else its first value, else the one in the text; else null."""
+    first = lambda ok: let(F.get(column_values(lines, TAX_LABEL, ok), 0), lambda v: F.when(is_tax_number(v), bare(v)))
+    return F.coalesce(first(is_dashed), first(is_tax_number), let(reading_text(lines), tax_number_in_text))
+
+
 def tax_numbers(lines: DataFrame, doc: str) -> DataFrame:
     """(doc, tax_number) of every document: the labelled dashed one, the labelled one, the one in the text; else null."""
-    bare = lambda v: F.replace(v, F.lit(" "), F.lit(""))
-    whole = lambda v: bare(v).rlike(r"(?U)^\d{2}-?\d{8}-?\d$")
-    dashed = lambda v: bare(v).rlike(DASHED_TAX_NUMBER)
-    # A label's line may offer a plain number beside it and a dashed one below, so each is looked up alone.
-    looks = {"dashed_value": dashed, "any_value": whole}
-    texts = lines.groupBy(doc).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "line_text"))), lambda x: x["line_text"]), " ").alias("__text"))
-    joined = reduce(lambda a, k: a.join(first_value(labelled_values(lines, TAX_LABEL, looks[k]), doc, k), doc, "left"), looks, texts)
-    clean = [F.when(whole(F.col(k)), bare(F.col(k))) for k in looks]
-    return joined.select(doc, F.coalesce(*clean, tax_number_in_text(F.col("__text"))).alias("tax_number"))
-
-
-def _looks_like_name(value: Column) -> Column:
+    return receipts(lines, doc).select(doc, tax_number(F.col("lines")).alias("tax_number"))
+
+
+def looks_like_name(value: Column) -> Column:
     low = F.lower(value)
     return value.rlike(NAME) & ~reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in NOT_IN_NAME))
 
 
+def person_name(lines: Column) -> Column:
+    """The holder's column, else a name in the first line with a person label; else null."""
+
+    def inline(text: Column) -> Column:
+        def read(m: Column) -> Column:
+            between = F.btrim(F.substring(text, m["id"]["stop"] + 1, m["tax"]["start"] - m["id"]["stop"]), F.lit(EDGES))
+            words = F.filter(F.split(F.substring(text, m["label"]["stop"] + 1, F.length(text)), r"(?U)\s+"), lambda w: w.rlike(NAME_WORD))
+            named = F.when(m["tax"]["start"] > m["id"]["stop"], F.nullif(between, F.lit("")))
+            return F.when(m["label"].isNotNull(), F.coalesce(named, F.nullif(F.array_join(words, " "), F.lit(""))))
+
+        return let(F.struct(first_span(text, PERSON_LABEL).alias("label"), first_span(text, ID_BEFORE_NAME).alias("id"), first_span(text, TAX_WORD).alias("tax")), read)
+
+    by_line = F.array_sort(F.transform(lines, lambda x: F.struct(x["line"].alias("line"), inline(x["line_text"]).alias("name"))))
+    return F.coalesce(F.get(column_values(lines, HOLDER_LABEL, looks_like_name), 0), F.get(F.filter(by_line, lambda x: x["name"].isNotNull()), 0)["name"])
+
+
 def person_names(lines: DataFrame, doc: str) -> DataFrame:
-    """(doc, person_name) of every document: the holder's column, else from the first line with a person label; else null."""
-    text = F.col("line_text")
-    marked = lines.withColumns({"__label": _span(text, PERSON_LABEL), "__id": _span(text, ID_BEFORE_NAME), "__tax": _span(text, TAX_WORD)})
-    between = F.btrim(F.expr("substring(line_text, __id.stop + 1, __tax.start - __id.stop)"), F.lit(EDGES))
-    between = F.when(F.col("__tax.start") > F.col("__id.stop"), F.nullif(between, F.lit("")))
-    words = F.filter(F.split(F.expr("substring(line_text, __label.stop + 1)"), r"(?U)\s+"), lambda w: w.rlike(NAME_WORD))
-    named = F.when(F.col("__label").isNotNull(), F.coalesce(between, F.nullif(F.array_join(words, " "), F.lit(""))))
-    inline = marked.groupBy(doc).agg(F.min_by(named, F.when(named.isNotNull(), F.col("line"))).alias("__inline"))
-    holder = first_value(labelled_values(lines, HOLDER_LABEL, _looks_like_name), doc, "__holder")
-    return inline.join(holder, doc, "left").select(doc, F.coalesce("__holder", "__inline").alias("person_name"))
+    """(doc, person_name) of every document."""
+    return receipts(lines, doc).select(doc, person_name(F.col("lines")).alias("person_name"))
