@@ -15,7 +15,9 @@ from foliospark.functions.arrays import let, median
 MIN_SAMPLES, Z_THRESHOLD = 6, 2.5
 
 
-def _z(value: Column, others: Column, floor: float) -> Column:
+def robust_z(value: Column, others: Column, floor: float) -> Column:
+    """How far a value lies from the others' median in MADs of at least ``floor``; 0 with fewer than two others."""
+
     def about(m: Column) -> Column:
         mad = F.greatest(median(F.transform(others, lambda o: F.abs(o - m))), F.lit(floor))
         return let(mad, lambda d: F.when(d > 0, F.abs(F.lit(0.6745) * (value - m) / d)).otherwise(F.lit(0.0)))
@@ -35,7 +37,7 @@ def leave_one_out_z(regions: DataFrame, doc: str, value: str, order: list[str],
 
     def scored(rows: Column) -> Column:
         others = lambda i: F.transform(F.filter(rows, lambda e, j: e["ok"] & (j != i)), lambda e: e["v"])
-        return F.transform(rows, lambda e, i: F.struct(e.alias("e"), F.when(e["ok"], let(others(i), lambda o: _z(e["v"], o, floor))).otherwise(F.lit(0.0)).alias("z")))
+        return F.transform(rows, lambda e, i: F.struct(e.alias("e"), F.when(e["ok"], let(others(i), lambda o: robust_z(e["v"], o, floor))).otherwise(F.lit(0.0)).alias("z")))
 
     out = docs.select(doc, F.explode(let(F.col("rows"), scored)).alias("x"))
     return out.select(doc, *(F.col(f"x.e.{c}").alias(c) for c in order), *(F.col(f"x.e.row.{c}").alias(c) for c in [value, *rest] if c not in order), F.col("x.z").alias("z"))
