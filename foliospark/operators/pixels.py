@@ -207,7 +207,8 @@ def measure_regions(pixels: Column, width: Column, boxes: Column) -> Column:
                 out.append(None)
                 continue
             grey = np.frombuffer(d, np.uint8).reshape(-1, int(w))
-            found = [measure_region(grey, [b[k] for k in ("x1", "y1", "x2", "y2")]) if b is not None else None for b in boxes]
+            edges = [[b[k] for k in ("x1", "y1", "x2", "y2")] if b is not None else [None] for b in boxes]
+            found = [None if any(pd.isna(e) for e in box) else measure_region(grey, list(map(int, box))) for box in edges]
             out.append([None if m is None else {n: m.get(n) for n in names} for m in found])
         return pd.Series(out)
 

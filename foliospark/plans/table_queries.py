@@ -199,7 +199,7 @@ SELECT event_type, below <= 0.5 AS dark_ink, round(CASE WHEN below <= 0.5 THEN b
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grey image of 64 by 48 pixels for every part: strokes whose place, width and darkness come from its numbers."""
-    part = _table(spark, sf_dir, "part")
+    part = _table(spark, sf_dir, "part").repartition("p_partkey")  # a small table of numbers becomes many images
     x, y = F.col("p_partkey"), F.col("p_size")
 
     def pixel(k: Column) -> Column:
