@@ -36,14 +36,27 @@ class CountingQuotientFilter:
 
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
+        """Neighbours merge in rounds; every merge is one pass over two sorted runs."""
         if not filters:
             return cls.build(np.empty(0, np.uint64))
-        values = np.concatenate([f.fingerprints for f in filters])
-        counts = np.concatenate([f.counts for f in filters]).astype(np.int64)
-        order = np.argsort(values, kind="stable")
-        values, counts = values[order], counts[order]
-        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
-        return cls(values[first], np.add.reduceat(counts, first) if len(first) else counts)
+        while len(filters) > 1:
+            filters = [cls._two(*filters[k : k + 2]) if k + 1 < len(filters) else filters[k] for k in range(0, len(filters), 2)]
+        return filters[0]
+
+    @classmethod
+    def _two(cls, a: CountingQuotientFilter, b: CountingQuotientFilter) -> CountingQuotientFilter:
+        values = np.empty(len(a.fingerprints) + len(b.fingerprints), np.uint64)
+        counts = np.empty(len(values), np.int64)
+        at_b = np.searchsorted(a.fingerprints, b.fingerprints, side="right") + np.arange(len(b.fingerprints))
+        from_a = np.ones(len(values), bool)
+        from_a[at_b] = False
+        values[at_b], counts[at_b] = b.fingerprints, b.counts
+        values[from_a], counts[from_a] = a.fingerprints, a.counts
+        second = np.flatnonzero(values[1:] == values[:-1]) + 1  # a value is in each filter once at most
+        counts[second - 1] += counts[second]
+        stay = np.ones(len(values), bool)
+        stay[second] = False
+        return cls(values[stay], counts[stay])
 
     def encode(self, base_bits: int) -> bytes:
         n = len(self.fingerprints)
