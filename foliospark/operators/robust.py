@@ -25,10 +25,11 @@ def robust_z(value: Column, others: Column, floor: float) -> Column:
     return F.when(F.size(others) >= 2, let(median(others), about)).otherwise(F.lit(0.0))
 
 
-def leave_one_out_z(regions: DataFrame, doc: str, value: str, order: list[str], floor: float = 1.0, reliable: Column | None = None) -> DataFrame:
+def leave_one_out_z(regions: DataFrame, doc: str, value: str, order: list[str], floor: float = 1.0, reliable: Column | None = None, count: str | None = None) -> DataFrame:
     """``regions`` with ``z`` against the median and MAD of the document's other reliable regions.
 
-    Fewer than two others, an unreliable region, or a MAD of 0 without a floor give 0.
+    Fewer than two others, an unreliable region, or a MAD of 0 without a floor give 0. ``count``
+    names a further column with the number of the document's reliable regions.
     """
     trusted = F.coalesce(reliable, F.lit(False)) if reliable is not None else F.lit(True)
     rest = [c for c in regions.columns if c not in (doc, value, *order)]
@@ -39,8 +40,9 @@ def leave_one_out_z(regions: DataFrame, doc: str, value: str, order: list[str],
         others = lambda i: F.transform(F.filter(rows, lambda e, j: e["ok"] & (j != i)), lambda e: e["v"])
         return F.transform(rows, lambda e, i: F.struct(e.alias("e"), F.when(e["ok"], let(others(i), lambda o: robust_z(e["v"], o, floor))).otherwise(F.lit(0.0)).alias("z")))
 
-    out = docs.select(doc, F.explode(let(F.col("rows"), scored)).alias("x"))
-    return out.select(doc, *(F.col(f"x.e.{c}").alias(c) for c in order), *(F.col(f"x.e.row.{c}").alias(c) for c in [value, *rest] if c not in order), F.col("x.z").alias("z"))
+    counted = [] if count is None else [F.size(F.filter("rows", lambda e: e["ok"])).alias(count)]
+    out = docs.select(doc, *counted, F.explode(let(F.col("rows"), scored)).alias("x"))
+    return out.select(doc, *([] if count is None else [count]), *(F.col(f"x.e.{c}").alias(c) for c in order), *(F.col(f"x.e.row.{c}").alias(c) for c in [value, *rest] if c not in order), F.col("x.z").alias("z"))
 
 
 def relative_calibration(regions: DataFrame, doc: str, value: str, order: list[str], anomaly: str, highlighted: Column) -> DataFrame:
@@ -50,8 +52,7 @@ def relative_calibration(regions: DataFrame, doc: str, value: str, order: list[s
     with fewer, and for highlighted regions, z is null and the anomaly stays.
     """
     marked = regions.withColumn("__hl", F.coalesce(highlighted, F.lit(False)))
-    counts = marked.groupBy(doc).agg(F.count_if(~F.col("__hl")).alias("__n"))
-    scored = leave_one_out_z(marked, doc, value, order, 1.0, ~F.col("__hl")).join(counts, doc)
+    scored = leave_one_out_z(marked, doc, value, order, 1.0, ~F.col("__hl"), "__n")
     applies = (F.col("__n") >= MIN_SAMPLES) & ~F.col("__hl")
     return scored.withColumn(anomaly, F.when(applies, F.col(anomaly) & (F.col("z") > Z_THRESHOLD)).otherwise(F.col(anomaly))).withColumn("z", F.when(applies, F.col("z"))).drop("__hl", "__n")
 

@@ -180,7 +180,7 @@ c0 AS (SELECT t.*, ct.*, coalesce(tp.total, 0.0::DOUBLE) AS local_ela, CASE tier
   FROM t JOIN ct ON ct.l_orderkey = o_orderkey LEFT JOIN tp ON tp.l_orderkey = o_orderkey),
 c1 AS (SELECT *, least(kt * 35.0::DOUBLE + ot * 15.0::DOUBLE, 100.0::DOUBLE) AS typography, least(pts / 4.0::DOUBLE * 100.0::DOUBLE, 100.0) AS rc, least((o_orderkey % 5) / 4.0::DOUBLE * 100.0::DOUBLE, 100.0) AS ocr, {GLOBAL_SQL} AS ge,
   pts >= 3 AND kt > 0 AND NOT ke > 0 AS cf, ke > 0 AND (pts >= 3 OR kt > 0 OR unreadable) AS eo, ke >= 2 AS ea FROM c0),
-c2 AS (SELECT *, least(round((0.59::DOUBLE * local_ela)::VARCHAR::DECIMAL(30, 17), 2)::DOUBLE + round((0.10::DOUBLE * typography)::VARCHAR::DECIMAL(30, 17), 2)::DOUBLE + round((0.20::DOUBLE * rc)::VARCHAR::DECIMAL(30, 17), 2)::DOUBLE + round((0.08::DOUBLE * ocr)::VARCHAR::DECIMAL(30, 17), 2)::DOUBLE + round((0.03::DOUBLE * ge)::VARCHAR::DECIMAL(30, 17), 2)::DOUBLE, 100.0::DOUBLE) AS base,
+c2 AS (SELECT *, least(format('{{:.2f}}', 0.59::DOUBLE * local_ela)::DOUBLE + format('{{:.2f}}', 0.10::DOUBLE * typography)::DOUBLE + format('{{:.2f}}', 0.20::DOUBLE * rc)::DOUBLE + format('{{:.2f}}', 0.08::DOUBLE * ocr)::DOUBLE + format('{{:.2f}}', 0.03::DOUBLE * ge)::DOUBLE, 100.0::DOUBLE) AS base,
   greatest(0.59::DOUBLE * local_ela, 0.10::DOUBLE * typography, 0.20::DOUBLE * rc, 0.08::DOUBLE * ocr, 0.03::DOUBLE * ge) AS best FROM c1),
 dc AS (SELECT *, greatest(base, CASE WHEN corroborated THEN 75.0 ELSE 0.0 END, CASE WHEN eo THEN 65.0 ELSE 0.0 END, CASE WHEN ea THEN 58.0 ELSE 0.0 END, CASE WHEN unreadable THEN 50.0 ELSE 0.0 END, CASE WHEN cf THEN 40.0 ELSE 0.0 END, CASE WHEN strong_typography THEN 35.0 ELSE 0.0 END)::DOUBLE AS raw FROM c2),
 dd AS (SELECT *, CASE WHEN raw >= 60 THEN 'altamente_sospechoso' WHEN raw >= 25 THEN 'sospechoso' ELSE 'poco_sospechoso' END AS risk_band,
@@ -193,7 +193,7 @@ def q12_weighted_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions(spark, sf_dir).select("o_orderkey", "score", "risk_band")
 
 
-Q12 = f"{DECISION_SQL} SELECT o_orderkey, round(raw::VARCHAR::DECIMAL(30, 17), 2)::DOUBLE AS score, risk_band FROM dd"
+Q12 = f"{DECISION_SQL} SELECT o_orderkey, format('{{:.2f}}', raw)::DOUBLE AS score, risk_band FROM dd"
 
 
 def q13_primary_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
