@@ -5,7 +5,8 @@ a host's pages are aligned by simple tree matching and merged into the host's te
 nodes count on how many pages they stand, which texts they hold on how many pages, and how much
 of their text is links. Texts that most of a host's pages hold at the same place are the wrapper,
 and so are blocks outside an article that are nearly all links, whatever the links say; nodes whose
-text varies are slots for content. A page's text is that of its slots within the article, without
+text varies are slots for content. No node and no text is left out of the template, and a host's texts
+are counted by shuffles, not in one task. A page's text is that of its slots within the article, without
 elements that say what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments).
 """
 
@@ -17,13 +18,14 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import materialise
+from foliospark.llm.common import discard, materialise
 from foliospark.llm.url_filter import url_host
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,8 +57,8 @@ TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 MENU_LINKS, MENU_SHARE = 3, 0.8
 #: Levels of a page that take part in the alignment; deeper text is extracted all the same.
 DEPTH = 200
-#: Texts and children that a template node remembers; the ones on the fewest pages go first.
-TEXTS, CHILDREN = 4096, 256
+#: Texts that a task holds, and hosts, before it writes them as partial counts and starts anew.
+HELD_TEXTS, HELD_HOSTS = 50_000, 1000
 
 
 class Node:
@@ -134,8 +136,8 @@ def own_text(node: Node) -> str:
     return " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
 
 
-# A template node: [key, pages, links, characters in links, characters, {sign of a text: [pages, some pages]}, children].
-# Links and characters are those of the whole subtree.
+# A template node: [key, pages, links, characters in links, characters, {sign of a text: [pages, some pages]}, names, children].
+# Links and characters are those of the whole subtree. Names are those under which tasks have written its texts.
 
 
 def outline(node: Node, depth: int = DEPTH) -> list:
@@ -154,32 +156,60 @@ def outline(node: Node, depth: int = DEPTH) -> list:
         links, linked = 1, size
     else:
         links, linked = (sum(c[k] for c in made) for k in (2, 3))
-    return [node.key, 1, links, linked, size, {_sign(text): [1, []]} if text else {}, made]
+    return [node.key, 1, links, linked, size, {_sign(text): [1, []]} if text else {}, [], made]
 
 
 def _matching(a: list[list], b: list[list], known: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
     """Simple tree matching of two child lists: the aligned pairs in order that match most nodes."""
     if [x[0] for x in a] == [x[0] for x in b]:
         return [(i, i) for i in range(len(a))]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            pair = best[i + 1][j + 1] + _score(a[i], b[j], known) if a[i][0] == b[j][0] else 0
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], pair)
-    i = j = 0
-    pairs = []
-    while i < len(a) and j < len(b):
-        if a[i][0] == b[j][0] and best[i][j] == best[i + 1][j + 1] + _score(a[i], b[j], known):
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
+    # A child whose key the other side lacks has no partner, so it takes no part.
+    places: dict[str, list[int]] = {}
+    ours = {x[0] for x in a}
+    right = [j for j, y in enumerate(b) if y[0] in ours]
+    for n, j in enumerate(right):
+        places.setdefault(b[j][0], []).append(n)
+    left = [i for i, x in enumerate(a) if x[0] in places]
+    at = {key: np.array(ns) for key, ns in places.items()}
+
+    def above(i: int, below: np.ndarray) -> np.ndarray:
+        """The most nodes that children from ``i`` on match with those from each place on, given those of ``i + 1``."""
+        x = a[left[i]]
+        ns = at[x[0]]
+        scores = np.array([_score(x, b[right[n]], known) for n in ns]) if x[-1] else 1
+        row = below.copy()
+        row[ns] = np.maximum(row[ns], below[ns + 1] + scores)
+        return np.maximum.accumulate(row[::-1])[::-1]
+
+    # One row in ``step`` is kept and those between are made again, so long lists don't need the whole square.
+    step = int(len(left) ** 0.5) + 1
+    row, kept = np.zeros(len(right) + 1, np.int64), {}
+    for i in range(len(left), -1, -1):
+        row = above(i, row) if i < len(left) else row
+        if i % step == 0 or i == len(left):
+            kept[i] = row
+    pairs, n = [], 0
+    for first in range(0, len(left), step):
+        last = min(first + step, len(left))
+        rows = {last: kept[last]}
+        for i in range(last - 1, first - 1, -1):
+            rows[i] = above(i, rows[i + 1])
+        i = first
+        while i < last and n < len(right):
+            x, y = a[left[i]], b[right[n]]
+            if x[0] == y[0] and rows[i][n] == rows[i + 1][n + 1] + _score(x, y, known):
+                pairs.append((left[i], right[n]))
+                i, n = i + 1, n + 1
+            elif rows[i][n] == rows[i + 1][n]:
+                i += 1
+            else:
+                n += 1
     return pairs
 
 
 def _score(a: list, b: list, known: dict[tuple[int, int], int]) -> int:
+    if not a[-1] or not b[-1]:
+        return 1
     pair = id(a), id(b)
     if pair not in known:
         known[pair] = 1 + sum(_score(a[-1][i], b[-1][j], known) for i, j in _matching(a[-1], b[-1], known))
@@ -187,18 +217,17 @@ def _score(a: list, b: list, known: dict[tuple[int, int], int]) -> int:
 
 
 def _texts(a: dict[int, list], b: dict[int, list], add) -> dict[int, list]:
-    out = dict(a)
+    """``a`` with the texts of ``b``."""
     for sign, (n, some) in b.items():
-        m, others = out.get(sign, (0, ()))
-        out[sign] = [add(m, n), sorted({*others, *some})[:BLOCK_SUPPORT]]
-    if len(out) > TEXTS:
-        out = dict(sorted(out.items(), key=lambda x: (-x[1][0], x[0]))[: TEXTS // 2])
-    return out
+        m, others = a.get(sign, (0, ()))
+        a[sign] = [add(m, n), sorted({*others, *some})[:BLOCK_SUPPORT]]
+    return a
 
 
 def merge(a: list, b: list, siblings: bool | None = None, known: dict[tuple[int, int], int] | None = None) -> list:
     """Two aligned nodes as one. Of different pages (``siblings`` False) counts add up; of one page
-    (``siblings`` True) only links and characters do; the same node twice (None) stays as it is."""
+    (``siblings`` True) only links and characters do; the same node twice (None) stays as it is.
+    Whatever either has stays, in its order; ``a`` is used up."""
     known = {} if known is None else known
     pages, sizes = (max if siblings is not False else int.__add__), (max if siblings is None else int.__add__)
     pairs = _matching(a[-1], b[-1], known)
@@ -208,16 +237,8 @@ def merge(a: list, b: list, siblings: bool | None = None, known: dict[tuple[int,
         if x < len(a[-1]):
             made.append(merge(a[-1][x], b[-1][y], siblings, known))
         i, j = x + 1, y + 1
-    kept: list[list] = []
-    for c in made:  # the same node from both sides stays one
-        if kept and kept[-1][0] == c[0]:
-            kept[-1] = merge(kept[-1], c, siblings)
-        else:
-            kept.append(c)
-    if len(kept) > CHILDREN:
-        often = set(sorted(range(len(kept)), key=lambda k: (-kept[k][1], k))[: CHILDREN // 2])
-        kept = [c for k, c in enumerate(kept) if k in often]
-    return [a[0], pages(a[1], b[1]), *(sizes(a[k], b[k]) for k in (2, 3, 4)), _texts(a[5], b[5], pages), kept]
+    # An aligned gap has no key on both sides, so no two like nodes have come next to each other.
+    return [a[0], pages(a[1], b[1]), *(sizes(a[k], b[k]) for k in (2, 3, 4)), _texts(a[5], b[5], pages), [*a[6], *(x for x in b[6] if x not in a[6])], made]
 
 
 class Template:
@@ -236,21 +257,27 @@ class Template:
         self.tree = other.tree if self.tree is None else self.tree if other.tree is None else merge(self.tree, other.tree, siblings=False)
         self.pages = set(sorted(self.pages | other.pages)[:BLOCK_SUPPORT])
 
-    def constants(self) -> list[tuple[str, int | None]]:
-        """(path, sign) of the wrapper's texts, and (path, None) of its menus."""
+    def places(self) -> Iterator[tuple[list, str, int, float, bool]]:
+        """(node, path, different pages and pages that must hold a text to make it wrapper, whether the node is a menu)."""
         if self.tree is None or len(self.pages) < SUPPORT:
-            return []
-        found: list[tuple[str, int | None]] = []
+            return
         todo = [(self.tree, "", False)]
         while todo:
-            (key, pages, links, linked, size, texts, children), path, inside = todo.pop()
+            node, path, inside = todo.pop()
+            key, pages, links, linked, size = node[:5]
             tag = key.split(".")[0]
             path, inside = f"{path}/{key}", inside or tag in ("article", "main")
             support, share = (BLOCK_SUPPORT, BLOCK_SHARE) if inside or tag in TEXT_BLOCKS else (SUPPORT, SHARE)
-            found += [(path, sign) for sign, (n, some) in texts.items() if len(some) >= support and n >= share * self.tree[1]]
-            if not inside and tag in BLOCK and tag not in CONTENT and pages >= SUPPORT and links >= MENU_LINKS * pages and linked >= MENU_SHARE * size:
-                found.append((path, None))
-            todo += [(c, path, inside) for c in children]
+            menu = not inside and tag in BLOCK and tag not in CONTENT and pages >= SUPPORT and links >= MENU_LINKS * pages and linked >= MENU_SHARE * size
+            yield node, path, support, share * self.tree[1], menu
+            todo += [(c, path, inside) for c in node[-1]]
+
+    def constants(self) -> list[tuple[str, int | None]]:
+        """(path, sign) of the wrapper's texts, and (path, None) of its menus."""
+        found: list[tuple[str, int | None]] = []
+        for node, path, support, need, menu in self.places():
+            found += [(path, sign) for sign, (n, some) in node[5].items() if len(some) >= support and n >= need]
+            found += [(path, None)] if menu else []
         return sorted(found, key=str)
 
 
@@ -336,20 +363,42 @@ def _load(data: str) -> Template:
     return out
 
 
+#: A task's template of a host, or (``template`` null) on how many pages a template node holds a text.
+_OUTLINES = "host string, part long, template string, name long, sign long, n long, some array<long>"
+
+
 def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[str, Template] = {}
-    part = TaskContext.get().partitionId()
+    part, named, held = TaskContext.get().partitionId(), 0, 0
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([part] * len(found), pa.int64()), pa.array([_dump(t) for t in found.values()], pa.string())], names=["host", "part", "template"])
+        nonlocal named
+        rows: list[tuple] = []
+        for host, template in found.items():
+            todo = [template.tree]
+            for node in todo:
+                name, named = part << 32 | named, named + 1
+                rows += [(None, None, name, sign, n, some) for sign, (n, some) in node[5].items()]
+                node[5], node[6] = {}, [name]
+                todo += node[-1]
+            rows.append((host, _dump(template), None, None, None, None))
+        hosts, templates, names, signs, counts, some = zip(*rows) if rows else [()] * 6
+        longs = [pa.array(x, pa.int64()) for x in (names, signs, counts)]
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([part] * len(rows), pa.int64()), pa.array(templates, pa.string()), *longs, pa.array(some, pa.list_(pa.int64()))], names=["host", "part", "template", "name", "sign", "n", "some"])
 
     for batch in batches:
         for host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if page:
-                found.setdefault(host, Template()).add(Template(outline(parse(page)), {_sign(page)}))
-        if len(found) > 1000:
-            yield out()
-            found.clear()
+                tree = outline(parse(page))
+                todo = [tree]
+                for node in todo:
+                    held += len(node[5])
+                    todo += node[-1]
+                found.setdefault(host, Template()).add(Template(tree, {_sign(page)}))
+                if held > HELD_TEXTS or len(found) > HELD_HOSTS:
+                    yield out()
+                    found.clear()
+                    held = 0
     yield out()
 
 
@@ -364,21 +413,47 @@ def _merge_parts(table: pa.Table) -> pa.Table:
     return pa.table({"host": pa.array([table.column("host")[0].as_py()], pa.string()), "part": pa.array([table.column("part")[0].as_py()], pa.int64()), "template": pa.array([_dump(_merged(table))], pa.string())})
 
 
+def _places(table: pa.Table) -> pa.Table:
+    """A row per name of a node, and one without a name per menu."""
+    rows = []
+    for number, (node, path, support, need, menu) in enumerate(_merged(table).places()):
+        rows += [(path, number, name, support, need) for name in [*node[6], *([None] if menu else [])]]
+    paths, numbers, names, supports, needs = zip(*rows) if rows else [()] * 5
+    host = pa.array([table.column("host")[0].as_py()] * len(rows), pa.string())
+    return pa.table({"host": host, "path": pa.array(paths, pa.string()), "node": pa.array(numbers, pa.int64()), "name": pa.array(names, pa.int64()), "support": pa.array(supports, pa.int64()), "need": pa.array(needs, pa.float64())})
+
+
 def _wrapper(table: pa.Table) -> pa.Table:
-    constants = _merged(table).constants()
-    return pa.table({"host": pa.array([table.column("host")[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(constants) if constants else None], pa.string())})
+    constants = sorted(set(zip(table.column("path").to_pylist(), table.column("sign").to_pylist(), strict=True)), key=str)
+    return pa.table({"host": pa.array([table.column("host")[0].as_py()], pa.string()), "wrapper": pa.array([json.dumps(constants)], pa.string())})
 
 
 def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", fan_in: int = 64) -> DataFrame:
-    """(host, wrapper) of hosts that have one. Each task sends a merged outline per host, however many
-    pages it has, and outlines of one host are merged ``fan_in`` tasks at a time."""
+    """(host, wrapper) of hosts that have one, as a written table.
+
+    Each task sends a merged outline per host, however many pages it has, and outlines of one host
+    are merged ``fan_in`` tasks at a time. They hold no texts: on how many pages a node of a task's
+    outline holds a text goes out as rows, which are added up under the node of the host's template
+    that it has become, so every text and every node counts in full.
+    """
     rows = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    outlines = rows.mapInArrow(_outlines, "host string, part long, template string")
+    written = materialise(rows.mapInArrow(_outlines, _OUTLINES), "outlines")
+    outlines = written.filter("template IS NOT NULL").select("host", "part", "template")
     parts = rows.rdd.getNumPartitions()
     while parts > fan_in:
         outlines = outlines.withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("host", "part").applyInArrow(_merge_parts, "host string, part long, template string")
         parts = -(-parts // fan_in)
-    return outlines.groupBy("host").applyInArrow(_wrapper, "host string, wrapper string").filter("wrapper IS NOT NULL")
+    places = materialise(outlines.groupBy("host").applyInArrow(_places, "host string, path string, node long, name long, support long, need double"), "places")
+    held = written.filter("template IS NULL").select("name", "sign", "n", "some").join(places.select("host", "node", "name", "support", "need"), "name")
+    often = held.groupBy("host", "node", "sign").agg(F.sum("n").alias("n"), F.first("need").alias("need"), F.first("support").alias("support"))
+    often = often.filter("n >= need AND n >= support").select("host", "node", "sign")
+    shared = held.join(often, ["host", "node", "sign"]).select("host", "node", "sign", "support", F.explode("some").alias("page")).distinct()
+    shared = shared.groupBy("host", "node", "sign").agg(F.count(F.lit(1)).alias("n"), F.first("support").alias("support")).filter("n >= support")
+    texts = shared.join(places.select("host", "node", "path").distinct(), ["host", "node"]).select("host", "path", "sign")
+    menus = places.filter("name IS NULL").select("host", "path", F.lit(None).cast("long").alias("sign"))
+    wrappers = materialise(texts.union(menus).groupBy("host").applyInArrow(_wrapper, "host string, wrapper string"), "wrappers")
+    discard(written, places)
+    return wrappers
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,7 +480,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     shuffle beyond. Repeated rows are extracted alike; an empty table gives an empty result; other
     columns are ignored.
     """
-    wrappers = materialise(induce_wrappers(pages, url_col, html_col), "wrappers").withColumnRenamed("host", "wrapper_host")
+    wrappers = induce_wrappers(pages, url_col, html_col).withColumnRenamed("host", "wrapper_host")
     size = wrappers.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("wrapper")).alias("chars")).first()
     if size["n"] <= broadcast_rows and (size["chars"] or 0) <= broadcast_bytes:
         wrappers = F.broadcast(wrappers)
