@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +16,12 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 
+#: Frees the shuffle files of a query at its end, which Spark else does when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: str | None = None
+#: Of every ``settled`` that is under way, what was written within it.
+_under_way = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,13 +48,35 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and returns the written table.
 
     Cuts the lineage: a lost executor costs a re-read and not a recomputation, and values
-    that a plan gives differently each time (row numbers, partition ids) become fixed.
+    that a plan gives differently each time (row numbers, partition ids) become fixed. What was
+    shuffled on the way is deleted.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["written_to"] = path
+    for tables in getattr(_under_way, "tables", [])[-1:]:
+        tables.append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The written table of ``make()``, without the tables that were written to get it."""
+    scopes = _under_way.__dict__.setdefault("tables", [])
+    scopes.append([])
+    try:
+        out = materialise(make(), label)
+    finally:
+        tables = scopes.pop()
+    discard(*(t for t in tables if t is not out))
+    for outer in scopes[-1:]:
+        outer.append(out)
     return out
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import materialise
+from foliospark.llm.common import discard, materialise, settled
 
 _PLACE_BITS = 24
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
@@ -171,8 +171,12 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
     them from word ``place`` on.
 
     A document is named by its id and text hash, so rows that repeat an id stay apart, and rows
-    that repeat both share their spans, which may be listed once a row.
+    that repeat both share their spans, which may be listed once a row. Only they stay written.
     """
+    return settled(lambda: _repeated_spans(docs, window, k), "repeat-spans")
+
+
+def _repeated_spans(docs: DataFrame, window: int, k: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
     named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     key = [T.StructField("doc_id", id_type), T.StructField("text_hash", T.LongType())]
@@ -180,7 +184,9 @@ def repeated_spans(docs: DataFrame, window: int = 35, k: int = 12) -> DataFrame:
     paths = materialise(named.mapInArrow(_find_paths(window, k), schema), "repeat-paths")
     # Written first, so that adaptive execution can split an edge with very many paths in the join.
     edges = materialise(paths.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("edge"), "repeat-edges")
-    paths = materialise(paths.join(edges, "edge", "left_semi"), "repeat-candidates")
+    candidates = materialise(paths.join(edges, "edge", "left_semi"), "repeat-candidates")
+    discard(paths, edges)
+    paths = candidates
     # One row for each distinct path, with an occurrence of it.
     contents = paths.groupBy("edge", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash", "place", "windows")).alias("at"))
     contents = materialise(contents, "repeat-contents")
