@@ -31,3 +31,15 @@ def test_images_are_dealt_out_and_drawn_as_columns(spark, tmp_path, monkeypatch)
     want = spark.createDataFrame(rows, "p_partkey long, p_size int").select("p_partkey", F.unhex(F.array_join(values, "")).alias("pixels"))
     order = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert order(drawn) == order(want)
+
+
+def test_a_field_is_split_once(monkeypatch):
+    calls = []
+    split = pixels.ink_mask
+    monkeypatch.setattr(pixels, "ink_mask", lambda grey: calls.append(1) or split(grey))
+    page = np.full((40, 60), 250, np.uint8)
+    page[12:20, 10:30:3] = 20
+    page[12:20, 10] = 30
+    found = pixels.measure_region(page, [8, 10, 34, 22])
+    assert len(calls) == 1 and not found["highlighted"] and found["shape_reliable"]
+    assert found["ink_ratio"] == pixels.crop_features(page, [8, 10, 34, 22])["ink_ratio"]
