@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.functions.arrays import let
 from foliospark.functions.text import is_amount, is_date, is_merged, is_numeric
 
 # Words of a line that make its tokens candidates.
@@ -70,13 +71,18 @@ def token_summary(words: Column, confidences: Column) -> Column:
 def split_columns(tokens: DataFrame, doc: str, idx: str, left: str, right: str, groups: str) -> DataFrame:
     """(doc, idx, column): a line's tokens cut at its ``groups`` - 1 widest gaps, earlier gaps first among equals.
 
-    Lines with fewer tokens than groups, or no groups, have no rows. One shuffle serves all windows.
+    Lines with fewer tokens than groups, or no groups, have no rows. A line's tokens are one array,
+    so one sort of narrow rows serves order, gaps and cuts.
     """
-    by = Window.partitionBy(doc)
-    placed = tokens.withColumns({"__n": F.count(F.lit(1)).over(by), "__k": F.row_number().over(by.orderBy(left, idx)), "__gap": F.col(left) - F.lag(right).over(by.orderBy(left, idx))})
-    cut = placed.withColumn("__rank", F.row_number().over(by.orderBy(F.desc_nulls_last("__gap"), "__k")))
-    column = F.sum(F.when(F.col("__gap").isNotNull() & (F.col("__rank") < F.col(groups)), 1).otherwise(0)).over(by.orderBy("__k")).cast("int")
-    return cut.withColumn("column", column).filter((F.col(groups) > 0) & (F.col("__n") >= F.col(groups))).select(doc, idx, "column")
+    token = F.struct(F.col(left).alias("x1"), F.col(idx).alias("idx"), F.col(right).alias("x2"), F.col(groups).cast("int").alias("groups"))
+    lines = tokens.groupBy(doc).agg(F.sort_array(F.collect_list(token)).alias("ts"))
+
+    def cut(ts: Column) -> Column:
+        gaps = F.transform(ts, lambda t, i: F.struct((t["x1"] - F.get(ts, i - 1)["x2"]).alias("gap"), (-i).alias("back")))
+        widest = F.transform(F.sort_array(F.filter(gaps, lambda g: g["gap"].isNotNull()), asc=False), lambda g: -g["back"])
+        return let(widest, lambda w: F.transform(F.filter(F.transform(ts, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"]["groups"].between(1, F.size(ts))), lambda x: F.struct(x["t"]["idx"].alias("idx"), F.size(F.filter(F.slice(w, F.lit(1), x["t"]["groups"] - 1), lambda k: k <= x["i"])).alias("column"))))
+
+    return lines.select(doc, F.explode(let(F.col("ts"), cut)).alias("t")).select(doc, F.col("t.idx").alias(idx), "t.column")
 
 
 def reading_suspicion(word_count: Column, numeric: Column, hits: Column, mean: Column) -> Column:
