@@ -34,12 +34,18 @@ def contains_any(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def candidates(tokens: DataFrame, doc: str, line: str, idx: str, text: str) -> DataFrame:
+    """``line_candidates`` of tokens, which one shuffle gathers to lines."""
+    lines = tokens.groupBy(doc, line).agg(F.sort_array(F.collect_list(F.struct(F.col(idx).alias("idx"), F.col(text).alias("text")))).alias("ts"))
+    return line_candidates(lines, doc, line, idx, text)
+
+
+def line_candidates(lines: DataFrame, doc: str, line: str, idx: str, text: str) -> DataFrame:
     """(doc, line, idx, text, type, priority, is_key_field, is_numeric, is_date, is_amount, line_text) of tokens worth a look.
 
-    A token must be a number or stand in a line with a label hint, and not be two cells read as
-    one. A line's text is searched once: its tokens are gathered by one shuffle and dealt out again.
+    ``lines`` has a line's tokens in order as ``ts``, array<struct<idx, text>>. A token must be a
+    number or stand in a line with a label hint, and not be two cells read as one. A line's text
+    is searched once. Narrow.
     """
-    lines = tokens.groupBy(doc, line).agg(F.sort_array(F.collect_list(F.struct(F.col(idx).alias("idx"), F.col(text).alias("text")))).alias("ts"))
     lines = lines.withColumn("joined", F.array_join(F.transform("ts", lambda t: t["text"]), " "))
     low = F.lower("joined")
     lines = lines.select(doc, line, "ts", contains_any(low, LABEL_HINTS).alias("hinted"), contains_any(low, REFERENCE_LINE).alias("reference"), F.substring("joined", 1, LINE_TEXT).alias("line_text"))
