@@ -41,6 +41,15 @@ def receipts(lines: DataFrame, doc: str) -> DataFrame:
     return lines.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("top", "line", "ts", "below", "line_text"))).alias("lines"))
 
 
+def document_lines(words: Column) -> Column:
+    """The ``lines`` of ``receipts`` from a document's lines of words, array<array<struct<token, x1, x2>>> from top to bottom. Narrow.
+
+    No line may be empty.
+    """
+    ts = F.transform(words, lambda line: F.transform(line, lambda w, i: F.struct(i.alias("idx"), w["token"].alias("text"), w["x1"].cast("double").alias("x1"), w["x2"].cast("double").alias("x2"))))
+    return let(ts, lambda all: F.transform(all, lambda t, i: F.struct((i * 20).alias("top"), i.alias("line"), t.alias("ts"), F.get(all, i + 1).alias("below"), _joined(t).alias("line_text"))))
+
+
 def _joined(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: t["text"]), " ")
 
